@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexmill.llm import visual
+from lexmill.session import cut
 
 
 def canonical_members(tokens: DataFrame) -> DataFrame:
@@ -33,21 +39,30 @@ def canonical_members(tokens: DataFrame) -> DataFrame:
 
 def changed_tokens(values: DataFrame) -> DataFrame:
     """One row per token that is not written in the ordinary form: the columns of `values` but `text`, then `surface` and
-    `mapped`. Only texts with a suspicious character leave the JVM; null and empty texts give no row.
+    `mapped`. Null and empty texts give no row.
     """
     keys = [c for c in values.columns if c != "text"]
-    token = F.split(F.col("token"), "\x01")
-    return (
-        values.where(F.col("text").rlike(visual.SUSPICIOUS))
-        .select(*keys, F.explode(visual.changes_udf("text")).alias("token"))
-        .select(*keys, token[0].alias("surface"), token[1].alias("mapped"))
-    )
+    schema = T.StructType([*values.select(*keys).schema, T.StructField("surface", T.StringType()), T.StructField("mapped", T.StringType())])
+
+    def changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            odd = batch.filter(pc.match_substring_regex(batch.column("text"), visual.SUSPICIOUS))
+            at, surface, mapped = [], [], []
+            for i, text in enumerate(odd.column("text").to_pylist()):
+                for a, b in visual.changes(text):
+                    at.append(i)
+                    surface.append(a)
+                    mapped.append(b)
+            take = pa.array(at, pa.int64())
+            yield pa.record_batch([*(odd.column(c).take(take) for c in keys), pa.array(surface, pa.string()), pa.array(mapped, pa.string())], names=[*keys, "surface", "mapped"])
+
+    return values.select(*keys, "text").where("text IS NOT NULL").mapInArrow(changed, schema)
 
 
 def with_canonical(values: DataFrame) -> DataFrame:
     """`changed_tokens` joined back to the canonical member of each token's class; the join key is the mapped form, which
     adaptive execution splits where one token is hot."""
-    tokens = changed_tokens(values)
+    tokens = cut(changed_tokens(values), "tokens")
     return tokens.join(canonical_members(tokens), "mapped")
 
 
