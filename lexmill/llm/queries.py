@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import p01_visual
+from lexmill.llm import p01_visual, p02_overlap, p03_copies, p04_leak
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -17,8 +17,28 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return p01_visual.found(_table(spark, sf, "data_row"), _table(spark, sf, "clean_document"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p02_overlap.found(_table(spark, sf, "data_row"))
+
+
+def p2_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    return p02_overlap.report(_table(spark, sf, "data_row"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p03_copies.found(_table(spark, sf, "data_row"), _table(spark, sf, "clean_document"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p04_leak.found(_table(spark, sf, "clean_document"), _table(spark, sf, "dataset_case"))
+
+
+def p4_proximity(spark: SparkSession, sf: str) -> DataFrame:
+    return p04_leak.near(_table(spark, sf, "clean_document"), _table(spark, sf, "dataset_case"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_by_source": p2_by_source, "p3_found": p3_found, "p4_found": p4_found, "p4_proximity": p4_proximity}
 
 
 def oracle_sql() -> dict[str, str]:
