@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import p01_visual, p02_overlap, p03_copies, p04_leak
+from lexmill.llm import p01_visual, p02_overlap, p03_copies, p04_leak, p05_sentences
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -37,8 +37,12 @@ def p4_proximity(spark: SparkSession, sf: str) -> DataFrame:
     return p04_leak.near(_table(spark, sf, "clean_document"), _table(spark, sf, "dataset_case"))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p05_sentences.found(_table(spark, sf, "boundary_document"), _table(spark, sf, "boundary_sample"), _table(spark, sf, "clean_document"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_by_source": p2_by_source, "p3_found": p3_found, "p4_found": p4_found, "p4_proximity": p4_proximity}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_by_source": p2_by_source, "p3_found": p3_found, "p4_found": p4_found, "p4_proximity": p4_proximity, "p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:

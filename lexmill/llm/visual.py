@@ -33,7 +33,7 @@ LATIN_AS_CYRILLIC = {v: k for k, v in CYRILLIC_AS_LATIN.items()}
 GREEK_AS_CYRILLIC = {k: LATIN_AS_CYRILLIC[v] for k, v in GREEK_AS_LATIN.items() if v in LATIN_AS_CYRILLIC}
 
 _INVISIBLE = regex.compile(r"[\p{Cf}͏ᅟᅠㅤ︀-️\U000E0100-\U000E01EF]")
-_SPACE = regex.compile(r"[\p{Zs}  \u0085\x0B\x0C--[ ]]", regex.V1)
+_SPACE = regex.compile(r"[\p{Zs}  \x85\x0B\x0C--[ ]]", regex.V1)
 _TOKEN = regex.compile(r"[^ \t\r\n]+")
 _RUN = regex.compile(r"[\p{L}\p{M}]+")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
@@ -139,7 +139,7 @@ def _unborrow(text: str) -> str:
 
 
 _LATIN = str.maketrans(LATIN_AS_LATIN)
-_DOTTED = regex.compile("[iı]̇")
+_DOTTED = regex.compile(r"[iı]̇")
 
 
 def ordinary(text: str | None) -> str | None:
