@@ -92,10 +92,17 @@ def frequency_sketch(texts: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.record_batch({"bucket": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, n = (batch.column(i).to_numpy() for i in (0, 1))
+            n = np.minimum(n, np.iinfo(np.int32).max)
+            yield pa.record_batch({"at": [at.astype(np.int32).tobytes()], "n": [n.astype(np.int32).tobytes()]})
+
     per_task = texts.select("words").mapInArrow(count, "bucket int, n long")
-    counts = per_task.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    packed = per_task.groupBy("bucket").agg(F.sum("n").alias("n")).mapInArrow(pack, "at binary, n binary")
     sketch = np.zeros(1 << bits, dtype=np.int32)
-    sketch[counts["bucket"].to_numpy()] = np.minimum(counts["n"].to_numpy(), np.iinfo(np.int32).max)
+    for row in packed.toLocalIterator():
+        sketch[np.frombuffer(row["at"], np.int32)] = np.frombuffer(row["n"], np.int32)
     return sketch
 
 
