@@ -24,8 +24,9 @@ _CJK = r"[\p{Han}\p{Hiragana}\p{Katakana}ー々〆]"
 _CLOSE = r"[»”“\"’'\)\]）」』》〉›]"
 _END = regex.compile(rf"([.!?…。．！？｡।॥؟۔‥]+)({_CLOSE}*)$")
 _TOKEN = regex.compile(rf"{_CJK}[。！？…]*{_CLOSE}*(?:[。！？…]+{_CLOSE}*)?|(?:(?!{_CJK})\S)+?(?:[。！？]+{_CLOSE}*(?={_CJK}|\S)|…+(?={_CJK})|(?={_CJK})|(?=\s)|$)")
-_GLUED = regex.compile(rf"(?<=(?:\p{{Ll}}{{3}}|\p{{Ll}}\p{{Ll}}[»”\"\)]))[.!?…]+{_CLOSE}*(?=[\p{{Lu}}«“„\(№]|\d)")
+_GLUED = regex.compile(rf"(?<=\S)[.!?…。．！？｡।॥؟۔‥]+{_CLOSE}*(?=[\p{{L}}\p{{N}}«“„‹\(\[（「『《〈№])")
 _ADDRESS = regex.compile(r"@|//|www\.|\.example|\.\p{Ll}+/")
+_AFTER_ADDRESS = regex.compile(r"(?:[«“„\(]|\p{Lu}\p{Ll})(?!\S*(?:[@/=&%]|\.\p{Ll}))")
 _THAI = regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 _NUMBER = regex.compile(r"\d+")
 _PAIRS = {"«": "»", "“": "”", "„": "“”", "(": ")", "[": "]", "（": "）", "「": "」", "『": "』", "《": "》", "‹": "›", "〈": "〉"}
@@ -103,13 +104,26 @@ def _prior(token: str, following: str) -> float:
     return 0.25 if len(letters) <= 3 else 0.6 if len(letters) == 4 else 0.95
 
 
+def _glued_prior(token: str, following: str) -> float:
+    """As _prior, where no space follows the mark: of decimals, dates, initials and abbreviations of single letters the marks are no ends."""
+    m = _END.search(token)
+    if m is not None and set(m.group()) <= set(".．…‥"):
+        core = token[: m.start()]
+        if core[-1:].isdigit() and following[:1].isdigit() or len(regex.sub(r"[^\p{L}\p{M}]", "", core)) == 1 or _THAI.search(core):
+            return 0.02
+        if core[-1:] in ")]）»”" and following[:1].isupper():
+            return 0.9
+    return _prior(token, following)
+
+
 def _tokens(line: str) -> list[tuple[int, int]]:
     spans = []
     for m in _TOKEN.finditer(line):
         lo, hi = m.span()
-        if hi - lo > 8 and not _ADDRESS.search(m.group()):
-            for g in _GLUED.finditer(m.group()):
-                if m.start() + g.end() < hi:
+        if marks := list(_GLUED.finditer(m.group())):
+            address = _ADDRESS.search(m.group()) is not None
+            for g in marks:
+                if not address or _AFTER_ADDRESS.match(m.group(), g.end()):
                     spans.append((lo, m.start() + g.end()))
                     lo = m.start() + g.end()
         spans.append((lo, hi))
@@ -197,7 +211,7 @@ def _lines(text: str) -> Iterator[tuple[int, str, list[tuple[int, int]]]]:
 def _read(line: str, spans: list[tuple[int, int]], vocabulary: frozenset[str] | set[str]):
     words = [line[a:b] for a, b in spans]
     possible = _gaps(line, spans)
-    priors = [_prior(w, y) if p else 0.0 for w, y, p in zip(words, words[1:], possible)]
+    priors = [(_prior if hi < lo else _glued_prior)(w, y) if p else 0.0 for w, y, p, (_, hi), (lo, _) in zip(words, words[1:], possible, spans, spans[1:])]
     return [_shape(w, vocabulary) for w in words], possible, priors
 
 
