@@ -107,7 +107,8 @@ def frequency_sketch(texts: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
 
 
 def code_blocks(texts: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """`(block, text_id, side_flags, bits, n)`: the rarest blocks of each text of five words or more; shorter ones allow no edit."""
+    """`(block, text_id, side_flags, bits, n)`: the rarest blocks of each text of four words or more; shorter ones
+    are within a fifth of no other text."""
     shared = texts.sparkSession.sparkContext.broadcast(sketch)
     bits = int(sketch.size).bit_length() - 1
 
@@ -125,7 +126,7 @@ def code_blocks(texts: DataFrame, sketch: np.ndarray) -> DataFrame:
             code = np.zeros(len(n), dtype=np.uint64)
             np.bitwise_xor.at(code, row[order][first], np.uint64(1) << (h[order][first] >> np.uint64(58)))
             # the rarest distinct blocks
-            inner = _inner(n) & (n[row] >= 5)
+            inner = _inner(n) & (n[row] >= 4)
             row, pair = row[inner], pair[inner]
             rare = freq[(pair >> np.uint64(64 - bits)).astype(np.int64)]
             order = np.lexsort((pair, rare, row))

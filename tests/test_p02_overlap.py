@@ -1,0 +1,7 @@
+from lexmill.llm import p02_overlap
+
+
+def test_four_words_against_five(spark):
+    rows = [("a", "s", "train", "alma armud heyva nar", None), ("b", "s", "test", "alma armud yaşıl heyva nar", None), ("c", "s", "test", "alma armud yaşıl heyva banan", None)]
+    table = spark.createDataFrame(rows, "id string, source string, split string, input string, target string")
+    assert [tuple(r) for r in p02_overlap.found(table).collect()] == [("a", "b")]
