@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import p01_visual, p02_overlap, p03_copies, p04_leak, p05_sentences
+from lexmill.llm import p01_visual, p02_overlap, p03_copies, p04_leak, p05_sentences, p06_splits
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -41,8 +41,19 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return p05_sentences.found(_table(spark, sf, "boundary_document"), _table(spark, sf, "boundary_sample"), _table(spark, sf, "clean_document"))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p06_splits.found(*(_table(spark, sf, t) for t in ("data_row", "correction_pair", "split_share")))
+
+
+def p6_splits(spark: SparkSession, sf: str) -> DataFrame:
+    return p06_splits.assigned(*(_table(spark, sf, t) for t in ("data_row", "correction_pair", "split_share")))
+
+
+_QUERIES = (p1_found, p2_found, p2_by_source, p3_found, p4_found, p4_proximity, p5_found, p6_found, p6_splits)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_by_source": p2_by_source, "p3_found": p3_found, "p4_found": p4_found, "p4_proximity": p4_proximity, "p5_found": p5_found}
+    return {q.__name__: q for q in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
