@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import p01_visual, p02_overlap, p03_copies, p04_leak, p05_sentences, p06_splits
+from lexmill.llm import p01_visual, p02_overlap, p03_copies, p04_leak, p05_sentences, p06_splits, p07_quality
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -49,7 +49,19 @@ def p6_splits(spark: SparkSession, sf: str) -> DataFrame:
     return p06_splits.assigned(*(_table(spark, sf, t) for t in ("data_row", "correction_pair", "split_share")))
 
 
-_QUERIES = (p1_found, p2_found, p2_by_source, p3_found, p4_found, p4_proximity, p5_found, p6_found, p6_splits)
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p07_quality.found(*(_table(spark, sf, t) for t in ("clean_document", "prose_label", "function_word")))
+
+
+def p7_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return p07_quality.statistics(*(_table(spark, sf, t) for t in ("clean_document", "function_word")))
+
+
+def p7_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    return p07_quality.by_source(*(_table(spark, sf, t) for t in ("clean_document", "prose_label", "function_word")))
+
+
+_QUERIES = (p1_found, p2_found, p2_by_source, p3_found, p4_found, p4_proximity, p5_found, p6_found, p6_splits, p7_found, p7_statistics, p7_by_source)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
