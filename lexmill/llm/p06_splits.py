@@ -29,7 +29,7 @@ FAN, LARGE, SLICES = 32, 256, 1024
 
 def group_key(group_id: Column) -> Column:
     """The group id without letter case and padding; null where it is missing or a placeholder."""
-    g = F.lower(F.trim(F.regexp_replace(group_id, r"[\s ]+", " ")))
+    g = F.lower(F.trim(F.regexp_replace(group_id, r"[\s\p{Z}]+", " ")))
     return F.when(~g.isin(*PLACEHOLDERS), g)
 
 

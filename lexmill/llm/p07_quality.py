@@ -45,7 +45,7 @@ def stretches(texts: DataFrame, keys: list[str], size: int = STRETCH) -> DataFra
     """`(*keys, line_no, stretch, words, repeated)`: pieces of at most `size` words of every line with a word; `repeated` tells a line that
     came before in its text. Null and blank texts have none."""
     clean = texts.select(*keys, F.regexp_replace("text", r"\p{Cf}+", "").alias("text")).where("text IS NOT NULL")
-    lines = clean.select(*keys, F.transform(F.split("text", r"[\r\n\u0085  ]+"), lambda s: F.trim(F.regexp_replace(s, _SPACE, " "))).alias("lines"))
+    lines = clean.select(*keys, F.transform(F.split("text", r"[\r\n\u0085\u2028\u2029]+"), lambda s: F.trim(F.regexp_replace(s, _SPACE, " "))).alias("lines"))
     lines = lines.select(*keys, F.filter("lines", lambda s: s != "").alias("lines"))
     lines = lines.select(*keys, F.posexplode("lines").alias("line_no", "line"), "lines")
     lines = lines.select(*keys, "line_no", F.split("line", " ").alias("all"), (F.array_position("lines", F.col("line")) <= F.col("line_no")).cast("double").alias("repeated"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import p01_visual, p02_overlap, p03_copies, p04_leak, p05_sentences, p06_splits, p07_quality
+from lexmill.llm import p01_visual, p02_overlap, p03_copies, p04_leak, p05_sentences, p06_splits, p07_quality, p10_language
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -61,7 +61,15 @@ def p7_by_source(spark: SparkSession, sf: str) -> DataFrame:
     return p07_quality.by_source(*(_table(spark, sf, t) for t in ("clean_document", "prose_label", "function_word")))
 
 
-_QUERIES = (p1_found, p2_found, p2_by_source, p3_found, p4_found, p4_proximity, p5_found, p6_found, p6_splits, p7_found, p7_statistics, p7_by_source)
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p10_language.found(_table(spark, sf, "documents"), _table(spark, sf, "function_word"))
+
+
+def p10_stretches(spark: SparkSession, sf: str) -> DataFrame:
+    return p10_language.stretches(_table(spark, sf, "documents"), _table(spark, sf, "function_word"))
+
+
+_QUERIES = (p1_found, p2_found, p2_by_source, p3_found, p4_found, p4_proximity, p5_found, p6_found, p6_splits, p7_found, p7_statistics, p7_by_source, p10_found, p10_stretches)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
