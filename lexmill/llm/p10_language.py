@@ -43,6 +43,7 @@ _SENTENCE = regex.compile(
     rf"(?:[^{_LINE}.!?…。！？।؟۔\p{{Thai}}]|[.!?…](?![»”\"’)\]]*(?:[\s]|$))|(?<=\p{{Thai}})[^{_LINE} ]|\p{{Thai}})+(?:[.!?…。！？।؟۔]+[»”\"’)\]」』]*)?"
 )
 _LETTER = regex.compile(r"\p{L}")
+_ADDRESS = regex.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|(?:https?://|www\.)[!-~]+")  # in no language
 _INDEX = {lang: i for i, lang in enumerate(LANGUAGES)}
 _BASE = np.array([_INDEX[lang.partition("-")[0]] for lang in LANGUAGES])
 _SCRIPT_NAMES = tuple(SCRIPTS)
@@ -163,7 +164,7 @@ def _chunks(texts: list[str | None], most: int = 200_000) -> Iterator[tuple[list
     for i, text in enumerate(texts):
         for lo, hi in sentences(text) if text else ():
             of.append(i)
-            pieces.append(text[lo:hi].replace("\n", " "))
+            pieces.append(_ADDRESS.sub(" ", text[lo:hi]).replace("\n", " "))
             spans.append((lo, hi))
             size += hi - lo
         if size > most:

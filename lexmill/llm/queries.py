@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import p01_visual, p02_overlap, p03_copies, p04_leak, p05_sentences, p06_splits, p07_quality, p10_language
+from lexmill.llm import p01_visual, p02_overlap, p03_copies, p04_leak, p05_sentences, p06_splits, p07_quality, p08_packing, p09_mixing, p10_language
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -61,6 +61,22 @@ def p7_by_source(spark: SparkSession, sf: str) -> DataFrame:
     return p07_quality.by_source(*(_table(spark, sf, t) for t in ("clean_document", "prose_label", "function_word")))
 
 
+def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
+    return p08_packing.packed(_table(spark, sf, "documents"), _table(spark, sf, "pack_capacity"))
+
+
+def p8_usage(spark: SparkSession, sf: str) -> DataFrame:
+    return p08_packing.usage(_table(spark, sf, "documents"), _table(spark, sf, "pack_capacity"))
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return p09_mixing.mixed(_table(spark, sf, "documents"), _table(spark, sf, "source_weight"))
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return p09_mixing.shares(_table(spark, sf, "documents"), _table(spark, sf, "source_weight"))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return p10_language.found(_table(spark, sf, "documents"), _table(spark, sf, "function_word"))
 
@@ -69,7 +85,7 @@ def p10_stretches(spark: SparkSession, sf: str) -> DataFrame:
     return p10_language.stretches(_table(spark, sf, "documents"), _table(spark, sf, "function_word"))
 
 
-_QUERIES = (p1_found, p2_found, p2_by_source, p3_found, p4_found, p4_proximity, p5_found, p6_found, p6_splits, p7_found, p7_statistics, p7_by_source, p10_found, p10_stretches)
+_QUERIES = (p1_found, p2_found, p2_by_source, p3_found, p4_found, p4_proximity, p5_found, p6_found, p6_splits, p7_found, p7_statistics, p7_by_source, p8_packed, p8_usage, p9_mix, p9_shares, p10_found, p10_stretches)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
