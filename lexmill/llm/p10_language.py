@@ -1,8 +1,8 @@
 """Problem 10: the language of documents and of each stretch of whole sentences in mixed ones.
 
-Evidence is fused by Bayes' rule. The text's likelihood comes from a model of hashed letter trigrams and words per language,
-and of the scripts each language is written in. Its counts are taken from all documents: first by their declared
-language, then, because declarations are often wrong, by the language the first model finds. The prior joins the declared language, by
+Evidence is fused by Bayes' rule. The text's likelihood comes from a model of hashed letter trigrams and words per language, and of the scripts each is
+written in. It is fitted on some `FIT_ROWS` documents with a declared language, chosen by a hash: first by what they declare,
+then, because declarations are often wrong, by what the model so far finds. The prior joins the declared language, by
 how often each declaration stands at each language, and the host's: counts of the institution, smoothed towards its source, that towards
 the source's suffix, that towards all documents, each a grouped aggregation. Sentences of a document form a chain in which
 the language seldom changes; a change is drawn from the document's prior.
@@ -10,6 +10,7 @@ the language seldom changes; a change is drawn from the document's prior.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,17 +34,19 @@ SCRIPTS = {
     "Han": {"zh": 1.0, "ja": 0.4}, "Kana": {"ja": 0.6}, "Thai": {"th": 1.0},
 }
 
+#: Documents with a declared language the text model is fitted on; priors are counted over all documents.
+FIT_ROWS = 20_000
+
 #: Hash buckets (of trigrams, and again of words), weight of the correlated features beside one independent observation,
 #: probability of a change of language between sentences, strength of each level of the host's prior, probability of a letter of a foreign script,
 #: letters from which on a sentence's words count in full (a shorter one is mostly names and abbreviations).
 BITS, TEMPER, CHANGE, SMOOTH, FOREIGN, FULL = 16, 0.3, 0.001, 20.0, 2e-3, 80
 
 _LINE = r"\r\n\v\f\x85\u2028\u2029"
-_SENTENCE = regex.compile(
-    rf"(?:[^{_LINE}.!?…。！？।؟۔\p{{Thai}}]|[.!?…](?![»”\"’)\]]*(?:[\s]|$))|(?<=\p{{Thai}})[^{_LINE} ]|\p{{Thai}})+(?:[.!?…。！？।؟۔]+[»”\"’)\]」』]*)?"
-)
-_LETTER = regex.compile(r"\p{L}")
-_ADDRESS = regex.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|(?:https?://|www\.)[!-~]+")  # in no language
+_CLOSE = "[»”\"’)\\]」』]*"
+_END = re.compile(f"[{_LINE}]+|[.!?…]+{_CLOSE}(?=\\s|$)|[。！？।؟۔]+{_CLOSE}|(?<=[\u0e00-\u0e7f]) +")
+_LETTER = re.compile(r"[^\W\d_]")
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|(?:https?://|www\.)[!-~]+")  # in no language
 _INDEX = {lang: i for i, lang in enumerate(LANGUAGES)}
 _BASE = np.array([_INDEX[lang.partition("-")[0]] for lang in LANGUAGES])
 _SCRIPT_NAMES = tuple(SCRIPTS)
@@ -59,11 +62,13 @@ def declared(lang: Column) -> Column:
 
 def sentences(text: str) -> list[tuple[int, int]]:
     """Spans of the sentences that have a letter. In Thai a space ends one; text without a letter belongs to none."""
-    out = []
-    for m in _SENTENCE.finditer(text):
-        hi = m.end()
-        if _LETTER.search(text, m.start(), hi):
-            out.append((hi - len(m.group().lstrip()), hi))
+    out, at = [], 0
+    for hi in [m.end() for m in _END.finditer(text)] + [len(text)]:
+        piece = text[at:hi]
+        if _LETTER.search(piece):
+            kept = piece.rstrip()
+            out.append((hi - len(piece.lstrip()), at + len(kept)))
+        at = hi
     return out
 
 
@@ -150,10 +155,16 @@ class Model:
     def score(self, pieces: list[str]) -> np.ndarray:
         """Tempered log-likelihoods (sentences, classes), their best set to 0."""
         bucket, owner, script, letter_of = features(pieces)
-        out = np.zeros((len(pieces), len(LANGUAGES)), dtype=np.float64)
-        weight = np.minimum(1.0, np.bincount(letter_of, minlength=len(pieces)) / FULL)
-        for j in range(len(LANGUAGES)):
-            out[:, j] = weight * np.bincount(owner, self.logp[bucket, j], len(pieces)) + np.bincount(letter_of, self.scripts[script, j], len(pieces))
+        out = np.zeros((len(pieces), len(LANGUAGES)))
+        if len(bucket):
+            half = len(script)  # trigrams, one per letter, then words; both in the order of the sentences
+            for lo, hi in ((0, half), (half, len(bucket))):
+                first = np.flatnonzero(np.r_[True, owner[lo + 1 : hi] != owner[lo : hi - 1]])
+                out[owner[lo:hi][first]] += np.add.reduceat(self.logp[bucket[lo:hi]], first, axis=0)
+            letters = np.bincount(letter_of, minlength=len(pieces))
+            out *= np.minimum(1.0, letters / FULL)[:, None]
+            kinds = len(SCRIPTS) + 1
+            out += np.bincount(letter_of * kinds + script, minlength=len(pieces) * kinds).reshape(-1, kinds) @ self.scripts
         out -= out.max(1, keepdims=True)
         return TEMPER * out
 
@@ -164,7 +175,8 @@ def _chunks(texts: list[str | None], most: int = 200_000) -> Iterator[tuple[list
     for i, text in enumerate(texts):
         for lo, hi in sentences(text) if text else ():
             of.append(i)
-            pieces.append(_ADDRESS.sub(" ", text[lo:hi]).replace("\n", " "))
+            piece = text[lo:hi]
+            pieces.append(_ADDRESS.sub(" ", piece) if "@" in piece or "://" in piece or "www." in piece else piece)
             spans.append((lo, hi))
             size += hi - lo
         if size > most:
@@ -175,7 +187,7 @@ def _chunks(texts: list[str | None], most: int = 200_000) -> Iterator[tuple[list
 
 
 def _counted(docs: DataFrame, model: Model | None) -> np.ndarray:
-    """Feature counts per language over all documents `(text, said)`: by the declared language, or by what `model` finds in a
+    """Feature counts per class over documents `(text, said)`: by the declared language, or by what `model` finds in a
     sentence where it is sure. The driver gets at most 2 * 2**BITS counts per class, whatever the corpus."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     n = len(LANGUAGES)
@@ -217,8 +229,14 @@ def _counted(docs: DataFrame, model: Model | None) -> np.ndarray:
     return out.reshape(-1, n)
 
 
-def fit(docs: DataFrame, function_word: DataFrame, rounds: int = 2) -> Model:
-    """The model of all documents `(text, said)`; the function words (a fixed table) are seen some more times for their language."""
+def fit(docs: DataFrame, function_word: DataFrame, rounds: int = 2, rows: int = FIT_ROWS) -> Model:
+    """The model of some `rows` labelled documents of `docs (doc_id, text, said)`, whole texts, taken by a hash of the id (all where there are
+    fewer); the function words (a fixed table) are seen some more times for their language."""
+    labelled = docs.where("text IS NOT NULL").where(F.col("said").isin(*LANGUAGES))
+    share = rows / max(1, labelled.count())
+    if share < 1.0:
+        labelled = labelled.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    sample = cut(labelled.select("text", "said"), "fit")
     seed = np.zeros((2 << BITS, len(LANGUAGES)), dtype=np.int64)
     for row in function_word.where("word IS NOT NULL").select("lang", "word").distinct().collect():
         if row["lang"] in _INDEX:
@@ -226,7 +244,7 @@ def fit(docs: DataFrame, function_word: DataFrame, rounds: int = 2) -> Model:
             np.add.at(seed[:, _INDEX[row["lang"]]], bucket, 20)
     model = None
     for _ in range(1 + rounds):
-        model = Model(seed + _counted(docs, model))
+        model = Model(seed + _counted(sample, model))
     return model
 
 
