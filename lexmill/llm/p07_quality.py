@@ -31,10 +31,9 @@ def _left(text: str, drop: str) -> Column:
     return F.length(F.regexp_replace(text, drop, ""))
 
 
-def common_words(function_word: DataFrame) -> Column:
-    """The function words as an array literal; the table is fixed (some hundred rows)."""
-    words = sorted({r["word"].strip().lower() for r in function_word.where("word IS NOT NULL").select("word").distinct().collect()})
-    return F.array(*map(F.lit, words)).cast("array<string>")
+def common_words(function_word: DataFrame) -> list[str]:
+    """The function words in lower case; the table is fixed (some hundred rows)."""
+    return sorted({r["word"].strip().lower() for r in function_word.where("word IS NOT NULL").select("word").distinct().collect()})
 
 
 def _lower(text: Column) -> Column:
@@ -56,51 +55,46 @@ def stretches(texts: DataFrame, keys: list[str], size: int = STRETCH) -> DataFra
 
 #: The statistics of a stretch that rules may speak of.
 STRETCH_STATS = (
-    "repeated", "line_words", "n_words", "mean_word", "letters", "digits", "upper", "signs", "closed", "marked", "keyed", "barred", "distinct", "common", "lowered", "numbers", "odd_words", "long_words", "other_script",
+    "repeated", "line_words", "n_words", "mean_word", "letters", "digits", "upper", "signs", "closed", "marked", "keyed", "barred", "distinct", "common", "lowered", "numbers", "odd_words",
     "ended_words", "top_end",
 )
 
 
-def stretch_statistics(pieces: DataFrame, keys: list[str], common: Column) -> DataFrame:
+def stretch_statistics(pieces: DataFrame, keys: list[str], common: list[str]) -> DataFrame:
     """`(*keys, chars, *STRETCH_STATS)` of stretches: shares of letters, digits, capitals and other signs among the characters
-    without spaces, and of the words that are numbers, distinct, common, lower case or hardly pronounceable."""
+    without spaces, and of the words that are numbers, distinct, common, lower case, marked at their end or hardly pronounceable."""
     s = "stretch"
-    solid = F.length(F.replace(F.col(s), F.lit(" "), F.lit(""))).cast("double")
-    letters = (solid - _left(s, r"\p{L}|\p{M}| ")).alias("letters")
-    base = pieces.select(
-        *keys, "repeated", "line_words", s, "words",
-        F.transform("words", lambda w: _lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))).alias("plain"),
-        solid.alias("solid"), letters,
-    )
-    n = F.size("words").cast("double")
 
-    def words_like(column: str, pattern: str) -> Column:
-        return _share(F.size(F.filter(column, lambda w: F.rlike(w, F.lit(pattern)))), n)
+    def count(column: str, pattern: str) -> Column:
+        return F.regexp_count(column, F.lit(pattern))
 
-    ends = F.transform(F.filter("plain", lambda w: F.rlike(w, F.lit(r"\p{L}$"))), lambda w: F.right(w, F.lit(2)))
+    n = F.size("words").cast("double")
+    base = pieces.select(
+        *keys, "repeated", "line_words", s, n.alias("n"), F.length(s).alias("chars"), (F.length(s) - n + 1).alias("solid"), _lower(F.col(s)).alias("low"),
+        (F.length(s) - _left(s, r"[\p{L}\p{M}]+")).alias("letters"),
+    ).withColumn("plain", F.regexp_extract_all("low", F.lit(r"[\p{L}\p{M}\p{N}]+"), 0))
+    known = F.size(F.filter("plain", lambda w: w.isin(*common))) if common else F.lit(0)
     return base.select(
         *keys,
-        F.length(s).alias("chars"),
+        "chars",
         "repeated", "line_words",
-        n.alias("n_words"),
-        F.round(F.col("solid") / n, 2).alias("mean_word"),
+        F.col("n").alias("n_words"),
+        F.round(F.col("solid") / F.col("n"), 2).alias("mean_word"),
         _share(F.col("letters"), F.col("solid")).alias("letters"),
-        _share(F.length(s) - _left(s, r"\p{N}"), F.col("solid")).alias("digits"),
-        _share(F.length(s) - _left(s, r"\p{Lu}"), F.col("letters")).alias("upper"),
-        _share(F.length(s) - _left(s, r"[^\p{L}\p{M}\p{N}\p{P} ]|[*&%#@\\/_{}]"), F.col("solid")).alias("signs"),
+        _share(F.length(s) - _left(s, r"\p{N}+"), F.col("solid")).alias("digits"),
+        _share(count(s, r"\p{Lu}"), F.col("letters")).alias("upper"),
+        _share(count(s, r"[\p{S}*&%#@\\/_{}]"), F.col("solid")).alias("signs"),
         F.rlike(s, F.lit(r"[.!?…。！？।؟][\p{Pf}\p{Pe}\p{Pi}\"']*$")).cast("double").alias("closed"),
-        F.rlike(s, F.lit(r"^([-–—•*·▪◦]|\(?\d+[.)]|[a-zA-Z][.)])( |$)")).cast("double").alias("marked"),
-        _share(F.regexp_count(s, F.lit(r"\p{L}\"? ?(:=|=>|=|: ?[\p{L}\p{N}\"])")), n).alias("keyed"),
-        _share(F.regexp_count(s, F.lit(r"[|;·»,<>{}\[\]]")), n).alias("barred"),
-        _share(F.size(F.array_distinct("plain")), n).alias("distinct"),
-        _share(F.size(F.filter("plain", lambda w: F.array_contains(common, w))), n).alias("common"),
-        words_like("words", r"^[^\p{L}]?\p{Ll}").alias("lowered"),
-        words_like("words", r"\p{N}").alias("numbers"),
-        words_like("plain", r"[bcçdfgğhjklmnpqrsştvwxyzбвгджзйклмнпрстфхцчшщ]{4}|[aeəıioöuü]{3}|^[bcçdfgğhjklmnpqrsştvwxyz]{2,}$|qx|xq|[aeəıioöuü]{2}.*[aeəıioöuü]{2}").alias("odd_words"),
-        words_like("plain", r"^.{13}").alias("long_words"),
-        _share(F.length(s) - _left(s, r"[\p{L}&&[^\p{IsLatin}\p{IsCyrillic}]]"), F.col("solid")).alias("other_script"),
-        words_like("words", r"[.!?…。！？।؟:;,][\p{Pf}\p{Pe}\"']*$").alias("ended_words"),
-        _share(F.size(F.array_distinct(ends)), n).alias("top_end"),
+        F.rlike(s, F.lit(r"^(?:[-–—•*·▪◦]|\(?\d+[.)]|[a-zA-Z][.)])(?: |$)")).cast("double").alias("marked"),
+        _share(count(s, r"\p{L}\"? ?(?::=|=>|=|: ?[\p{L}\p{N}\"])"), F.col("n")).alias("keyed"),
+        _share(count(s, r"[|;·»,<>{}\[\]]"), F.col("n")).alias("barred"),
+        _share(F.size(F.array_distinct("plain")), F.size("plain").cast("double")).alias("distinct"),
+        _share(known, F.col("n")).alias("common"),
+        _share(count(s, r"(?:^| )[^\p{L} ]?\p{Ll}"), F.col("n")).alias("lowered"),
+        _share(count(s, r"[^ \p{N}]*\p{N}[^ ]*"), F.col("n")).alias("numbers"),
+        _share(count("low", r"[bcçdfgğhjklmnpqrsştvwxyzбвгджзйклмнпрстфхцчшщ]{4}|[aeəıioöuü]{3}|qx|xq"), F.col("n")).alias("odd_words"),
+        _share(count(s, r"[.!?…。！？।؟:;,][\p{Pf}\p{Pe}\"']*(?: |$)"), F.col("n")).alias("ended_words"),
+        _share(F.size(F.array_distinct(F.transform("plain", lambda w: F.right(w, F.lit(2))))), F.size("plain").cast("double")).alias("top_end"),
     )
 
 
@@ -159,7 +153,7 @@ def _steps(v: np.ndarray) -> np.ndarray:
     return np.unique(np.r_[np.quantile(v, at, method="nearest"), np.quantile(np.unique(v), at, method="nearest")])
 
 
-def induce(x: dict[str, np.ndarray], positive: np.ndarray, weight: np.ndarray, seed: int = 7, most: int = 24) -> list[Rule]:
+def induce(x: dict[str, np.ndarray], positive: np.ndarray, weight: np.ndarray, seed: int = 7, most: int = 60) -> list[Rule]:
     """An ordered rule list by incremental reduced-error pruning: a rule is grown on two thirds of what is left by the best
     information gain until it covers no negative, its last conditions are pruned where the other third likes it better
     without, and what it covers is taken away; the first rule that is wrong more often than right on that third ends the list.
@@ -276,7 +270,7 @@ def statistics(clean_document: DataFrame, function_word: DataFrame) -> DataFrame
         F.round(F.try_divide(F.length(F.array_join("w", "")), n), 6).alias("mean_word_len"),
         F.round(F.try_divide(F.length(F.regexp_replace("text", r"[\p{L}\p{N} \t\r\n]", "")), F.length("text")), 6).alias("symbol_ratio"),
         F.round(F.try_divide(F.col("n_closed"), F.col("n_lines")), 6).alias("closed_lines"),
-        F.round(F.try_divide(F.size(F.filter("w", lambda x: F.array_contains(common, x))), n), 6).alias("common_words"),
+        F.round(F.try_divide(F.size(F.filter("w", lambda x: x.isin(*common))) if common else F.lit(0), n), 6).alias("common_words"),
         F.round(F.try_divide(F.size(F.array_distinct("w")), n), 6).alias("distinct_words"),
     )
 
