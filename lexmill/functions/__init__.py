@@ -1 +1 @@
-
+"""Column functions: text, distances, feature vectors."""

@@ -1,5 +1,6 @@
-"""DuckDB SQL with the same columns for the core queries that SQL can express."""
+"""The SQL of the core's queries."""
 
-from __future__ import annotations
+from lexmill.plans import queries  # noqa: F401
+from lexmill.plans.registry import ORACLE
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE"]

@@ -1,5 +1,6 @@
-"""Name to callable for every core operator; each reads its whole tables."""
+"""All queries of the core; importing the modules registers them."""
 
-from __future__ import annotations
+from lexmill.plans import q_curation, q_text  # noqa: F401
+from lexmill.plans.registry import QUERIES
 
-QUERIES: dict = {}
+__all__ = ["QUERIES"]
