@@ -124,13 +124,13 @@ query("lm_prune", f"{_LM} SELECT a, b, c, round(p, 6) AS p, round(backoff, 6) AS
 )
 
 
-@query("lm_pruned_prob", f"""{_LM} SELECT q.id, q.pos, round(coalesce(e3.p, 0) + coalesce(b3.backoff, 1) * (coalesce(e2.p, 0) + coalesce(b2.backoff, 1) * coalesce(one.n::DOUBLE / (SELECT sum(n) FROM one), 0)), 4) AS p FROM q
-LEFT JOIN one ON one.word = q.c LEFT JOIN e2 ON e2.a = q.b AND e2.b = q.c LEFT JOIN b2 ON b2.a = q.b LEFT JOIN e3 ON e3.a = q.a AND e3.b = q.b AND e3.c = q.c LEFT JOIN b3 ON b3.a = q.a AND b3.b = q.b""")
+@query("lm_pruned_prob", f"""{_LM} SELECT q.id, round(sum(coalesce(e3.p, 0) + coalesce(b3.backoff, 1) * (coalesce(e2.p, 0) + coalesce(b2.backoff, 1) * coalesce(one.n::DOUBLE / (SELECT sum(n) FROM one), 0))), 5) AS p FROM q
+LEFT JOIN one ON one.word = q.c LEFT JOIN e2 ON e2.a = q.b AND e2.b = q.c LEFT JOIN b2 ON b2.a = q.b LEFT JOIN e3 ON e3.a = q.a AND e3.b = q.b AND e3.c = q.c LEFT JOIN b3 ON b3.a = q.a AND b3.b = q.b GROUP BY q.id""")
 def lm_pruned_prob(q):
     m, two, three = _pruned(q)
     total = m.continuation1.agg(F.sum("n").alias("total"))
     p1 = m.continuation1.join(F.broadcast(total)).select("word", (F.col("n") / F.col("total")).alias("p"))
-    return lm.pruned_probability(_held(q, m), p1, two, three).select("id", "pos", F.round("p", 4).alias("p"))
+    return lm.pruned_probability(_held(q, m), p1, two, three).groupBy("id").agg(F.round(F.sum("p"), 5).alias("p"))
 
 
 @query("oov_penalty", f"{_LM} SELECT id, pos, CASE WHEN v.word IS NULL THEN round(ln((SELECT count(*) FROM vocab)), 6) ELSE 0 END AS penalty FROM (SELECT id, unnest(range(0, len(w)))::INT AS pos, unnest(w) AS word FROM held) h LEFT JOIN vocab v USING (word)")

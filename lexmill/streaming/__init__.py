@@ -1 +1 @@
-
+"""Event-time operators, batch and streaming twins."""
