@@ -133,11 +133,11 @@ def token_bigrams(tokens: Column) -> Column:
     return F.when(F.size(tokens) >= 2, word_ngrams(tokens, 2)).otherwise(F.array_distinct(tokens))
 
 
-def typed_keys(text: Column, n: int = 8) -> Column:
-    """`array<struct<key_type, key>>`: 0 with the sentence's hash, 1 with each n-gram's."""
-    w = words(text)
-    grams = F.transform(word_ngrams(w, n), lambda g: F.struct(F.lit(1).alias("key_type"), F.sha2(g, 256).alias("key")))
-    return F.concat(F.array(F.struct(F.lit(0).alias("key_type"), sentence_key(text).alias("key"))), grams)
+def typed_keys(tokens: Column, n: int = 8) -> Column:
+    """`array<struct<key_type, key>>` of a column of tokens: 0 with the sentence's hash, 1 with each n-gram's. As in `word_ngrams`, the tokens
+    should be a column of their own: an expression would be worked out again for every n-gram."""
+    grams = F.transform(word_ngrams(tokens, n), lambda g: F.struct(F.lit(1).alias("key_type"), F.sha2(g, 256).alias("key")))
+    return F.concat(F.array(F.struct(F.lit(0).alias("key_type"), F.sha2(F.array_join(tokens, " "), 256).alias("key"))), grams)
 
 
 def pair_seed(*parts: Column, sep: str = ":") -> Column:

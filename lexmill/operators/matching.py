@@ -27,8 +27,8 @@ def contamination(rows: DataFrame, reference: DataFrame, key: str, text: str, re
     The reference's keys are made distinct first; whether they are broadcast is left to the planner, which knows their size.
     Null texts share nothing.
     """
-    keys = reference.where(F.col(reference_text).isNotNull()).select(F.inline(t.typed_keys(F.col(reference_text), n))).distinct()
-    own = rows.where(F.col(text).isNotNull()).select(key, F.inline(t.typed_keys(F.col(text), n)))
+    keys = reference.where(F.col(reference_text).isNotNull()).select(t.words(F.col(reference_text)).alias("w")).select(F.inline(t.typed_keys(F.col("w"), n))).distinct()
+    own = rows.where(F.col(text).isNotNull()).select(key, t.words(F.col(text)).alias("w")).select(key, F.inline(t.typed_keys(F.col("w"), n)))
     hit = own.join(keys, ["key_type", "key"], "left_semi")
     return hit.groupBy(key).agg(F.max((F.col("key_type") == 0).cast("int")).alias("same_sentence"), F.sum((F.col("key_type") == 1).cast("long")).alias("shared_ngrams"))
 

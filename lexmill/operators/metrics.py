@@ -36,13 +36,13 @@ def exactness(rows: DataFrame, category: str) -> DataFrame:
 def quality(rows: DataFrame, by: list[str]) -> DataFrame:
     """Micro-averaged quality of rows `(input, target, actual)`: character and word error rates, precision, recall and F0.5 of edit spans,
     summed before they are divided; a rate with nothing below is null. Rows too long to align are counted in `unaligned`."""
-    ok = rows.where("input IS NOT NULL AND target IS NOT NULL AND actual IS NOT NULL").withColumn("k", distance.quality_counts("input", "target", "actual"))
-    s = {c: F.sum(f"k.{c}") for c in ("word_errors", "words", "tp", "fp", "fn")}
+    ok = rows.where("input IS NOT NULL AND target IS NOT NULL AND actual IS NOT NULL").withColumn("_counts", distance.quality_counts("input", "target", "actual"))
+    s = {c: F.sum(f"_counts.{c}") for c in ("word_errors", "words", "tp", "fp", "fn")}
     chars = F.sum(F.levenshtein("actual", "target"))
     tp, fp, fn = s["tp"], s["fp"], s["fn"]
     return ok.groupBy(*by).agg(
         F.count("*").alias("rows"),
-        F.sum(F.col("k").isNull().cast("long")).alias("unaligned"),
+        F.sum(F.col("_counts").isNull().cast("long")).alias("unaligned"),
         F.round(F.try_divide(chars, F.sum(F.length("target"))), 6).alias("cer"),
         F.round(F.try_divide(s["word_errors"], s["words"]), 6).alias("wer"),
         F.round(F.try_divide(tp, tp + fp), 6).alias("precision"),

@@ -11,7 +11,7 @@ from lexmill.functions import text as t
 PLAIN_OF = ("əıçğöşü", "eicgosu")
 QX = ("qkxh", "kqhx")
 KEYS = ("qüertyuiopasdfghjklzxcvbnm", "üqrtyuiopoasdfghjklzxcvbnb")
-ELIGIBLE = "^[a-zəıçğöşü]{5,32}$"
+ELIGIBLE = r"^[a-zəıçğöşü]{5,32}\z"
 
 KINDS = ("identity", "diacritics_all", "diacritics_partial", "qk_xh", "deletion", "insertion", "transpose", "keyboard", "digraph", "space_split", "hyphen", "punctuation", "case", "space_join")
 

@@ -11,8 +11,9 @@ from lexmill.session import cut
 
 def representatives(sets: DataFrame, id: str, grams: str) -> tuple[DataFrame, DataFrame]:
     """`(reps, members)`: one row `(id, grams, n)` per distinct set, under its smallest id, and `(id, rep)` of every row. Sets are compared sorted; null sets are left out."""
-    rows = sets.where(F.col(grams).isNotNull()).select(id, F.array_sort(F.array_distinct(grams)).alias("g"))
-    keyed = cut(rows.select(id, "g", F.sha2(F.array_join("g", "\x01"), 256).alias("h")), "sets")
+    rows = sets.select(id, F.array_sort(F.array_distinct(grams)).alias("g"))
+    # nulls go after the cut: before it, the planner would push the test down and work the grams out twice
+    keyed = cut(rows.select(id, "g", F.sha2(F.array_join("g", "\x01"), 256).alias("h")), "sets").where("h IS NOT NULL")
     reps = keyed.groupBy("h").agg(F.min(id).alias("rep"), F.min_by("g", id).alias("grams"))
     members = keyed.select(id, "h").join(reps.select("h", "rep"), "h").select(id, "rep")
     return reps.select(F.col("rep").alias("id"), "grams", F.size("grams").alias("n")), members
@@ -44,7 +45,8 @@ def jaccard_pairs(reps: DataFrame, threshold: float = 0.8, least: int = 1) -> Da
 def novelty(queries: DataFrame, reference: DataFrame) -> DataFrame:
     """`(id, score, nearest)`: of each query's gram set the highest Jaccard similarity with any reference set and the smallest id that
     reaches it, for `(id, grams)` on both sides; 0 and null where no gram is shared. Queries are the small side; each shared
-    gram is one row, counted map-side per pair."""
+    gram is one row, counted map-side per pair. Both sides are cut first: the shingles are then worked out once."""
+    queries, reference = cut(queries.select("id", "grams"), "queries"), cut(reference.select("id", "grams"), "reference")
     q = queries.select(F.col("id").alias("qid"), F.size("grams").alias("nq"), F.explode("grams").alias("gram"))
     r = reference.select(F.col("id").alias("rid"), F.size("grams").alias("nr"), F.explode("grams").alias("gram"))
     both = r.join(q, "gram").groupBy("qid", "nq", "rid", "nr").agg(F.count("*").alias("shared"))

@@ -9,6 +9,7 @@ from lexmill.operators import components, matching as m, similarity, splits
 from lexmill.operators.curation import segment_fallback
 from lexmill.plans import sql as s
 from lexmill.plans.registry import query
+from lexmill.session import cut
 
 _SPLIT = "CASE WHEN lower(trim(split)) IN ('dev', 'valid', 'val') THEN 'validation' ELSE lower(trim(split)) END"
 _KEY_EXACT = f"sha256({s.collapse('nfc_normalize(target)')})"
@@ -87,7 +88,8 @@ _SIDES = """sides AS (SELECT id, split, 'clean' AS side, target AS x FROM data_r
 def _keyed(q):
     rows = _rows(q).where("split IS NOT NULL")
     sides = rows.select(F.col("id").alias("row"), "split", F.inline(F.array(F.struct(F.lit("clean").alias("side"), F.col("target").alias("x")), F.struct(F.lit("noisy").alias("side"), F.col("input").alias("x")))))
-    return sides.where("x IS NOT NULL").select("row", "split", "side", F.inline(t.typed_keys(F.col("x"))))
+    w = sides.where("x IS NOT NULL").select("row", "split", "side", t.words(F.col("x")).alias("w"))
+    return w.select("row", "split", "side", F.inline(t.typed_keys(F.col("w"))))
 
 
 @query("first_owner_collisions", f"""WITH {_SIDES} {_KEYED}
@@ -250,7 +252,7 @@ def novelty_trigram(q):
 @query("novelty_stream", f"WITH {_NOVEL} SELECT rid AS document_id, count(*) AS hits, max(score) AS score FROM p GROUP BY rid")
 def novelty_stream(q):
     """The other direction: each document's hits among the cases."""
-    small, big = _trigrams(q.dataset_case, "id", "expected"), _trigrams(q.clean_document, "document_id", "text")
+    small, big = (cut(_trigrams(*x), "sets") for x in ((q.dataset_case, "id", "expected"), (q.clean_document, "document_id", "text")))
     a = small.select(F.col("id").alias("qid"), F.size("grams").alias("nq"), F.explode("grams").alias("gram"))
     b = big.select(F.col("id").alias("document_id"), F.size("grams").alias("nr"), F.explode("grams").alias("gram"))
     both = b.join(a, "gram").groupBy("document_id", "nr", "qid", "nq").agg(F.count("*").alias("shared"))
@@ -338,8 +340,6 @@ def shuffle_buffer(q):
 
 
 def number_rows(parts):
-    from lexmill.session import cut
-
     kept = cut(parts, "ordered")
     sizes = kept.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()  # one row per partition
     before, at = {}, 0

@@ -86,7 +86,8 @@ SELECT id, key_type, key FROM (
   UNION ALL
   SELECT id, 1, sha256(unnest({s.ngrams('w', 8)})) FROM (SELECT id, {s.words('target')} AS w FROM data_row WHERE target IS NOT NULL))""")
 def typed_keys(q):
-    return q.data_row.where("target IS NOT NULL").select("id", F.inline(t.typed_keys(F.col("target"))))
+    w = q.data_row.where("target IS NOT NULL").select("id", t.words(F.col("target")).alias("w"))
+    return w.select("id", F.inline(t.typed_keys(F.col("w"))))
 
 
 @query("deletions", "SELECT DISTINCT word, unnest(list_distinct(list_concat([word], list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, i - 1) || substr(word, i + 1))))) AS key FROM (SELECT DISTINCT unnest(" + s.words("target") + ") AS word FROM data_row)")

@@ -28,13 +28,17 @@ def get_session(app: str = "lexmill", master: str | None = None, **conf: str) ->
 
 
 _OWN: list[str] = []
+_CUT: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, or where that is unset (tests, one machine) a folder of our own."""
+    """The folder all executors share: `spark.checkpoint.dir`. Where that is unset, a local master gets a folder of its own; on a cluster
+    a folder of one machine would be lost to the others, so there it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="lexmill-"))
         atexit.register(shutil.rmtree, _OWN[0], True)
@@ -47,13 +51,15 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _CUT.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete what `cut` wrote for `df`; only for results no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        parent = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(parent, True)
+def clear_cuts(spark: SparkSession) -> int:
+    """Deletes all that `cut` has written in this process and returns how many folders; call it once the results that read them are written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_CUT)
+    while _CUT:
+        path = jvm.org.apache.hadoop.fs.Path(_CUT.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n

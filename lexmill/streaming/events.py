@@ -49,20 +49,22 @@ def hits_in_range(events: DataFrame, seconds: int, most: int) -> DataFrame:
 
 
 def rate_limited(stream: DataFrame, seconds: int = 60, most: int = 30) -> DataFrame:
-    """Streaming rate limit: `(event_id, user_id, accepted)`. Only accepted hits count; the state holds at most `most` times per user, so a
-    hot user's events go through memory batch by batch. Within a batch events are taken in time order."""
+    """Streaming rate limit: `(event_id, user_id, accepted)`. Only accepted hits count; the state holds at most `most` times per user.
+
+    A trigger's events of a user are taken in time order: their ids and times (16 bytes each) are held while it runs, so the source's
+    limit per trigger (`maxFilesPerTrigger`) bounds the memory, however hot the user.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         times = list(state.get[0]) if state.exists else []
-        for batch in batches:
-            out = []
-            for i, at in zip(batch["event_id"], batch["us"]):
-                times = [x for x in times if x > at - seconds * 1_000_000]
-                ok = len(times) < most
-                if ok:
-                    times.append(int(at))
-                out.append((i, key[0], ok))
-            yield pd.DataFrame(out, columns=["event_id", "user_id", "accepted"])
+        events, out = pd.concat(list(batches)).sort_values(["us", "event_id"]), []
+        for i, at in zip(events["event_id"], events["us"]):
+            times = [x for x in times if x > at - seconds * 1_000_000]
+            ok = len(times) < most
+            if ok:
+                times.append(int(at))
+            out.append((i, key[0], ok))
+        yield pd.DataFrame(out, columns=["event_id", "user_id", "accepted"])
         state.update((times,))
 
     rows = stream.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
