@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.operators.components import contract
 from lexmill.session import cut
 
 # Group ids that stand for a missing one.
@@ -58,33 +59,6 @@ def links(recs: DataFrame, fan: int = FAN) -> DataFrame:
     return star.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("c").alias("a"), F.col("b").alias("b"))))).distinct()
 
 
-def contract(edges: DataFrame) -> DataFrame:
-    """`(node, root)` for each node of `edges (a, b)`: root is the smallest node of its component. Nulls and loops relate
-    nothing; repeated links count once; an empty table gives an empty one. Cut to the shared folder after every round."""
-    edges = cut(edges.where("a IS NOT NULL AND b IS NOT NULL AND a != b").distinct(), "links")
-    maps = []
-    while not edges.isEmpty():
-        both = edges.select("a", "b").union(edges.select("b", "a"))
-        hook = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("root")), "hooks")
-        while True:  # pointer jumping: chains of hooks halve each time
-            up = hook.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            jumped = cut(hook.join(up, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "jumps")
-            hook = jumped.select("node", "root")
-            if jumped.where("moved").isEmpty():
-                break
-        maps.append(hook)
-        ends = edges.join(hook.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(hook.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
-        edges = cut(ends.where("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
-    if not maps:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    total = maps.pop()
-    while maps:  # a later map speaks of an earlier map's roots only, each a fraction of the one before
-        lower = maps.pop()
-        later = total.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        total = cut(lower.join(later, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
-    return total
-
-
 def shares(split_share: DataFrame) -> dict[str, float]:
     """The wanted proportions, made to sum to one. The table has one row per split."""
     rows = split_share.where("split IS NOT NULL AND share > 0").groupBy(F.lower(F.trim("split")).alias("split")).agg(F.sum("share").alias("share")).orderBy("split").collect()

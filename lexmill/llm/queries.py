@@ -29,6 +29,10 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return p03_copies.found(_table(spark, sf, "data_row"), _table(spark, sf, "clean_document"))
 
 
+def p3_counted(spark: SparkSession, sf: str) -> DataFrame:
+    return p03_copies.counted(_table(spark, sf, "data_row"), _table(spark, sf, "clean_document"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p04_leak.found(_table(spark, sf, "clean_document"), _table(spark, sf, "dataset_case"))
 
@@ -85,7 +89,7 @@ def p10_stretches(spark: SparkSession, sf: str) -> DataFrame:
     return p10_language.stretches(_table(spark, sf, "documents"), _table(spark, sf, "function_word"))
 
 
-_QUERIES = (p1_found, p2_found, p2_by_source, p3_found, p4_found, p4_proximity, p5_found, p6_found, p6_splits, p7_found, p7_statistics, p7_by_source, p8_packed, p8_usage, p9_mix, p9_shares, p10_found, p10_stretches)
+_QUERIES = (p1_found, p2_found, p2_by_source, p3_found, p3_counted, p4_found, p4_proximity, p5_found, p6_found, p6_splits, p7_found, p7_statistics, p7_by_source, p8_packed, p8_usage, p9_mix, p9_shares, p10_found, p10_stretches)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
