@@ -17,7 +17,8 @@ from lexmill.session import cut
 def canonical_members(tokens: DataFrame) -> DataFrame:
     """`(mapped, canonical)` for tokens `(surface, mapped)`: look-alike-mapped tokens that are equal under the
     accent-sensitive Unicode collation form a class, and the class's canonical member is its smallest mapped form
-    (mapped forms before surfaces, then by code points). Null rows are ignored; an empty table gives an empty one.
+    (mapped forms before surfaces, then by code points). A mapped form is its own ordinary form, so a token that needs mapping is never its
+    class's canonical member, whatever other rows there are. Null rows are ignored; an empty table gives an empty one.
     """
     spark = tokens.sparkSession
     pairs = tokens.select("surface", "mapped").where("mapped IS NOT NULL").distinct()

@@ -27,31 +27,33 @@ SUSPICIOUS = (
 # Cyrillic and Greek letters that look like a Latin letter, and Latin letters that look like another one.
 CYRILLIC_AS_LATIN = dict(zip("АВЕКМНОРСТУХІЅЈҺӘӨԚԜаеорсхуіѕјһәөԛԝ", "ABEKMHOPCTYXISJHƏÖQWaeopcxyisjhəöqw"))
 CYRILLIC_AS_LATIN.pop("Ө"), CYRILLIC_AS_LATIN.pop("ө")
-GREEK_AS_LATIN = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαιονρυϲϳ", "ABEZHIKMNOPTYXaiovpucj"))
-LATIN_AS_LATIN = dict(zip("ǝƎșȘțȚɑɡ", "əƏşŞţŢag"))
+GREEK_AS_LATIN = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικονρυϲϳ", "ABEZHIKMNOPTYXaikovpucj"))
+# More look-alikes of Latin letters, read as such inside Latin words; the other way round they stand for none.
+OTHER_AS_LATIN = dict(zip("ҪҫҮүԁԌոՕօՍսհցᎪᎬᎻᎫᏦᏞᎷᏢᏚᎢᏙᎳᏃ", "ÇçYydGnOoUuhgAEHJKLMPSTVWZ"))
+LATIN_AS_LATIN = dict(zip("ǝƎșȘțȚɑɡᴀʙᴄᴅᴇɢʜɪᴊᴋʟᴍɴᴏᴘʀᴛᴜᴠᴡʏᴢ", "əƏşŞţŢagabcdeghijklmnoprtuvwyz"))
 LATIN_AS_CYRILLIC = {v: k for k, v in CYRILLIC_AS_LATIN.items()}
 GREEK_AS_CYRILLIC = {k: LATIN_AS_CYRILLIC[v] for k, v in GREEK_AS_LATIN.items() if v in LATIN_AS_CYRILLIC}
 
-_INVISIBLE = regex.compile(r"[\p{Cf}͏ᅟᅠㅤ︀-️\U000E0100-\U000E01EF]")
+_INVISIBLE = regex.compile(r"[\x00-\x08\x0E-\x1F\x7F-\x84\x86-\x9F\p{Cf}͏ᅟᅠㅤ︀-️\U000E0100-\U000E01EF]")
 _SPACE = regex.compile(r"[\p{Zs}  \x85\x0B\x0C--[ ]]", regex.V1)
 _TOKEN = regex.compile(r"[^ \t\r\n]+")
 _RUN = regex.compile(r"[\p{L}\p{M}]+")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
 _SUSPICIOUS = regex.compile(SUSPICIOUS)
 _STOP = regex.compile(r"[.!?…\n]")
-_BORROWED = regex.compile(r"[\p{Cyrillic}\p{Greek}]")
+_BORROWED = regex.compile(r"[\p{Cyrillic}\p{Greek}\p{Armenian}\p{Cherokee}]")
 
 
 def _table() -> dict[int, str]:
     """Compatibility letters and digits (full-width, ligatures, styled, presentation forms) to what they stand for."""
-    ranges = [(0x0132, 0x0180), (0x01C4, 0x01F4), (0x1D400, 0x1D800), (0x2100, 0x2190), (0xFB00, 0xFE00), (0xFE70, 0xFF00), (0xFF10, 0xFFDD), (0x1FBF0, 0x1FBFA)]
+    ranges = [(0x02B0, 0x02B9), (0x02E0, 0x02E5), (0x1D2C, 0x1D6B), (0x2070, 0x209D), (0x2460, 0x24EA), (0x0132, 0x0180), (0x01C4, 0x01F4), (0x1D400, 0x1D800), (0x2100, 0x2190), (0xFB00, 0xFE00), (0xFE70, 0xFF00), (0xFF10, 0xFFDD), (0x1FBF0, 0x1FBFA)]
     table = {}
     for lo, hi in ranges:
         for code in range(lo, hi):
             c = chr(code)
-            if unicodedata.category(c) in ("Lu", "Ll", "Lo", "Nd", "Nl") or 0xFF66 <= code <= 0xFF9F:
+            if unicodedata.category(c) in ("Lu", "Ll", "Lo", "Nd", "Nl") or 0xFF66 <= code <= 0xFF9F or code < 0x2500 and code != 0x2116 and unicodedata.category(c) in ("Lm", "No", "So") and unicodedata.decomposition(c):
                 k = unicodedata.normalize("NFKC", c)
-                if k != c:
+                if k != c and k.replace(" ", "").isalnum():
                     table[code] = k
     return table
 
@@ -74,24 +76,26 @@ def _invisible(m) -> str:
 @lru_cache(200_000)
 def _kind(run: str) -> str:
     """L, C, G: the script of a run of letters; l, c: the script it was meant in, though some letters are borrowed; ?: only letters that exist alike in several; -: another script."""
-    latin = cyrillic = greek = latin_own = cyrillic_own = greek_own = 0
+    latin = cyrillic = greek = other = latin_own = cyrillic_own = greek_own = 0
     for c in run:
         if c < "ʰ" or "Ḁ" <= c < "ἀ":
             latin += 1
             latin_own += c not in LATIN_AS_CYRILLIC
         elif "Ѐ" <= c < "԰":
             cyrillic += 1
-            cyrillic_own += c not in CYRILLIC_AS_LATIN
+            cyrillic_own += c not in CYRILLIC_AS_LATIN and c not in OTHER_AS_LATIN
         elif "Ͱ" <= c < "Ѐ":
             greek += 1
             greek_own += c not in GREEK_AS_LATIN
+        elif c in OTHER_AS_LATIN:
+            other += 1
         elif unicodedata.category(c)[0] == "L":
             return "-"
     if not latin + cyrillic + greek:
         return "-"
-    if latin and not cyrillic + greek:
+    if latin and not cyrillic + greek + other:
         return "L"
-    if cyrillic and not latin + greek:
+    if cyrillic and not latin + greek + other:
         return "C" if cyrillic_own else "?"
     if greek and not latin + cyrillic:
         return "G" if greek_own else "?"
@@ -103,11 +107,12 @@ def _kind(run: str) -> str:
 
 
 def _to_latin(run: str) -> str:
-    return "".join(CYRILLIC_AS_LATIN.get(c) or GREEK_AS_LATIN.get(c) or c for c in run)
+    """Look-alikes are mapped apart from their marks and composed last."""
+    return unicodedata.normalize("NFC", "".join(CYRILLIC_AS_LATIN.get(c) or GREEK_AS_LATIN.get(c) or OTHER_AS_LATIN.get(c) or c for c in unicodedata.normalize("NFD", run)))
 
 
 def _to_cyrillic(run: str) -> str:
-    return "".join(LATIN_AS_CYRILLIC.get(c) or GREEK_AS_CYRILLIC.get(c) or c for c in run)
+    return unicodedata.normalize("NFC", "".join(LATIN_AS_CYRILLIC.get(c) or GREEK_AS_CYRILLIC.get(c) or c for c in unicodedata.normalize("NFD", run)))
 
 
 def _unborrow(text: str) -> str:
@@ -155,6 +160,7 @@ def ordinary(text: str | None) -> str | None:
     if _WIDE_SIGN.search(s) and not _CJK.search(s):
         s = _WIDE_SIGN.sub(lambda m: unicodedata.normalize("NFKC", m.group()), s)
     s = _DOTTED.sub("i", s).translate(_LATIN)
+    s = unicodedata.normalize("NFC", s)
     return _unborrow(s) if _BORROWED.search(s) else s
 
 
@@ -171,7 +177,7 @@ def _align(surfaces: list[str], mapped: str) -> list[str]:
     """The mapped text cut where the surface tokens end: a token with unusual spaces inside maps to several words, an invisible one to none."""
     words, at, out = _TOKEN.findall(mapped), 0, []
     for s in surfaces:
-        n = len(_SPACE.sub(" ", _INVISIBLE.sub(_invisible, s)).split())
+        n = len(_SPACE.sub(" ", _INVISIBLE.sub(_invisible, s)).translate(COMPATIBLE).split())
         out.append(" ".join(words[at : at + n]))
         at += n
     return out
