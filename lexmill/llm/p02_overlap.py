@@ -1,11 +1,12 @@
 """Problem 2: records of the evaluation splits that recur, exactly or almost, in training.
 
 Each distinct text (plain words) gets a 64-bit similarity hash: bit h(word) mod 64 is flipped for each distinct word, so
-texts that differ in d words differ in at most 2d bits, always. The code that is joined is segmented into blocks, one per
-pair of neighbouring words. Two texts within e edits share a block among the rarest `blocks_needed(n)` of each, by any
-order common to both: every edit destroys at most two pairs. The order is by frequency in a sketch of fixed size over all
-texts. So candidates from equal blocks within the Hamming radius contain every true pair, and the verification by word
-edit distance leaves only those.
+texts that differ in d words differ in at most 2d bits, always. Segments of that code cannot be the join keys: a fifth of
+fifty words allows twenty bits, and one of 21 segments of 64 bits, three bits long, is shared by any two texts. What is joined
+instead are blocks of the text, one per pair of neighbouring words. Two texts within e edits share a block among the rarest
+`blocks_needed(n)` of each, by any order common to both: every edit destroys at most two pairs. The order is by frequency
+in a sketch of fixed size over all texts. So candidates from equal blocks within the Hamming radius contain every true
+pair, and the verification by word edit distance leaves only those.
 """
 
 from __future__ import annotations
@@ -146,7 +147,7 @@ def code_blocks(texts: DataFrame, sketch: np.ndarray) -> DataFrame:
                 "n": pa.array(n[row].astype(np.int32)),
             })
 
-    return texts.select("text_id", "sides", "words").mapInArrow(emit, "block long, text_id long, sides int, code long, n int")
+    return texts.select("text_id", "sides", "words").mapInArrow(emit, "block long, text_id binary, sides int, code long, n int")
 
 
 def edit_distance(a: list[str], b: list[str], most: int) -> int:
@@ -215,7 +216,7 @@ def overlaps(data_row: DataFrame) -> DataFrame:
     form) or almost (near_texts). Rows without a known split, null and empty texts are in no pair; a row delivered twice
     counts once. Copies of a text are compared once and expanded at the end."""
     seen = occurrences(data_row).select(
-        "id", "side", "words", F.xxhash64("words").alias("text_id"), F.unhex(F.md5(F.replace("words", F.lit(" "), F.lit("")))).alias("letters")
+        "id", "side", "words", F.unhex(F.md5("words")).alias("text_id"), F.unhex(F.md5(F.replace("words", F.lit(" "), F.lit("")))).alias("letters")
     )
     seen = cut(seen, "occurrences")
     texts = seen.groupBy("text_id").agg(F.min("words").alias("words"), F.bit_or(F.col("side") + 1).alias("sides"))
@@ -235,8 +236,10 @@ def found(data_row: DataFrame) -> DataFrame:
 
 
 def report(data_row: DataFrame) -> DataFrame:
-    """`(split, source, overlapping, train_partners)` per evaluation split and source: rows that recur in training, and pairs."""
+    """`(split, source, overlapping, train_partners)` per evaluation split and source: rows that recur in training, and pairs. An id
+    delivered under several sources counts for the smallest."""
     s = F.lower(F.trim("split"))
-    about = data_row.select(F.col("id").alias("eval_row"), F.when(s.isin("valid", "dev", "val"), "validation").otherwise(s).alias("split"), "source").where("split IN ('validation', 'test')").distinct()
+    named = data_row.select(F.col("id").alias("eval_row"), F.when(s.isin("valid", "dev", "val"), "validation").otherwise(s).alias("split"), "source")
+    about = named.where("split IN ('validation', 'test')").groupBy("eval_row", "split").agg(F.min("source").alias("source"))
     per_row = overlaps(data_row).groupBy("eval_row").agg(F.count("*").alias("partners"))
     return per_row.join(about, "eval_row").groupBy("split", "source").agg(F.count("*").alias("overlapping"), F.sum("partners").alias("train_partners"))
