@@ -260,7 +260,7 @@ def statistics(clean_document: DataFrame, function_word: DataFrame) -> DataFrame
     common = common_words(function_word)
     base = clean_document.select(
         "document_id", "source", text.alias("text"), words.alias("w"), F.size(lines).alias("n_lines"),
-        F.size(F.filter(lines, lambda s: F.rlike(s, F.lit(r"[.!?…。！？।؟][»”\"')\]]*[ \t\r]*$")))).alias("n_closed"),
+        F.size(F.filter(lines, lambda s: F.rlike(s, F.lit(r"[.!?…。！？।؟][»”\"')\]]*[ \t\r]*\z")))).alias("n_closed"),
     )
     n = F.size("w")
     return base.select(

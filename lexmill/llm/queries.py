@@ -96,5 +96,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in _QUERIES}
 
 
+_RELATED = """
+WITH RECURSIVE g AS (SELECT DISTINCT document_id AS d, trim(regexp_replace(lower(group_id), '[\\s\\p{Z}]+', ' ', 'g')) AS k FROM correction_pair WHERE document_id IS NOT NULL AND group_id IS NOT NULL),
+e AS (SELECT 'd:' || d AS a, 'g:' || k AS b FROM g WHERE k NOT IN ('', 'n/a', '-', 'unknown', 'yoxdur')),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(node, seen) AS (SELECT DISTINCT a, a FROM u UNION SELECT u.b, reach.seen FROM reach JOIN u ON reach.node = u.a),
+r AS (SELECT node, min(seen) AS root FROM reach GROUP BY node)
+SELECT substr(root, 3) AS lead_document_id, substr(node, 3) AS document_id FROM r WHERE node LIKE 'd:%' AND node <> root"""
+
+_STATISTICS = """
+WITH f AS (SELECT DISTINCT lower(trim(word)) AS w FROM function_word WHERE word IS NOT NULL), fs AS (SELECT list(w) AS common FROM f),
+b AS (SELECT document_id, source, coalesce(text, '') AS t FROM clean_document),
+x AS (SELECT document_id, source, t, regexp_extract_all(lower(translate(t, 'Iİ', 'ıi')), '[\p{L}\p{N}]+') AS w, list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '[^ \t\r]')) AS l, common FROM b, fs)
+SELECT document_id, source, len(w)::BIGINT AS n_words, round(length(array_to_string(w, ''))::DOUBLE / nullif(len(w), 0), 6) AS mean_word_len,
+  round(length(regexp_replace(t, '[\p{L}\p{N} \t\r\n]', '', 'g'))::DOUBLE / nullif(length(t), 0), 6) AS symbol_ratio,
+  round(len(list_filter(l, lambda s: regexp_matches(s, '[.!?…。！？।؟][»”"'')\]]*[ \t\r]*\z')))::DOUBLE / nullif(len(l), 0), 6) AS closed_lines,
+  round(len(list_filter(w, lambda y: list_contains(common, y)))::DOUBLE / nullif(len(w), 0), 6) AS common_words,
+  round(len(list_distinct(w))::DOUBLE / nullif(len(w), 0), 6) AS distinct_words FROM x"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p6_found": _RELATED, "p7_statistics": _STATISTICS}
