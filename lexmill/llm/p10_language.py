@@ -284,18 +284,38 @@ def _sums() -> list[Column]:
 
 
 def host_priors(known: DataFrame) -> DataFrame:
-    """`known` with `prior`, one value per class: the institution's counts, smoothed by its source's, those by the suffix's, those by all."""
+    """`(row, prior)`, one value per class: the institution's counts, smoothed by its source's, those by the suffix's, those by all. Only the rows' keys
+    go through the levels, not their evidence."""
     row = known.agg(*_sums()).first()  # one row
     counts = [float(row[j] or 0.0) for j in range(len(LANGUAGES))]
     total = sum(counts) + len(LANGUAGES)
-    out = known.withColumn("prior", F.array(*(F.lit((c + 1.0) / total) for c in counts)))
+    out = known.select("row", "suffix", "source", "institution").withColumn("prior", F.array(*(F.lit((c + 1.0) / total) for c in counts)))
     for key in ("suffix", "source", "institution"):
-        group = known.where(F.col(key).isNotNull()).groupBy(key).agg(*_sums())
-        out = out.join(group, key, "left").withColumn("prior", _level()).drop(*(f"c{j}" for j in range(len(LANGUAGES))))
-    return out
+        out = cut(_with_group(out, known, key, total), "priors")
+    return out.select("row", "prior")
+
+
+#: A group with more than this share of the documents is joined by broadcast: there are fewer than 1 / HOT such groups.
+HOT = 1 / 64
+
+
+def _with_group(out: DataFrame, known: DataFrame, key: str, total: float) -> DataFrame:
+    """`out` with its prior taken one level down, to the groups of `key`. Rows of large groups never go through a shuffle on the key."""
+    columns = [f"c{j}" for j in range(len(LANGUAGES))]
+    group = cut(known.where(F.col(key).isNotNull()).groupBy(key).agg(*_sums(), F.count("*").alias("_n")), "groups")
+    large = F.col("_n") > total * HOT
+    names = [r[key] for r in group.where(large).select(key).collect()]
+    hot = F.coalesce(F.col(key).isin(*names), F.lit(False)) if names else F.lit(False)
+    parts = [
+        out.where(hot).join(F.broadcast(group.where(large).drop("_n")), key),
+        out.where(F.col(key).isNotNull() & ~hot).join(group.where(~large).drop("_n"), key),
+    ]
+    known_groups = parts[0].unionByName(parts[1]).withColumn("prior", _level()).drop(*columns)
+    return known_groups.unionByName(out.where(F.col(key).isNull()).select(*known_groups.columns))
 
 
 def _level() -> Column:
+    """The group's counts beside SMOOTH documents of the prior above it."""
     own = F.array(*(F.coalesce(F.col(f"c{j}"), F.lit(0.0)) for j in range(len(LANGUAGES))))
     total = F.aggregate(own, F.lit(0.0), lambda a, x: a + x) + SMOOTH
     return F.zip_with(own, "prior", lambda c, p: (c + SMOOTH * p) / total)
@@ -341,10 +361,10 @@ def stretches(docs: DataFrame, function_word: DataFrame) -> DataFrame:
     """
     source = F.replace(F.lower(F.trim("source")), F.lit("_"), F.lit("-"))
     base = docs.select("doc_id", "text", declared(F.col("lang")).alias("said"), F.lower(F.trim("institution")).alias("institution"), source.alias("source"))
-    known = cut(evidence(base, fit(base, function_word)), "evidence")
+    known = cut(evidence(base, fit(base, function_word)).withColumn("row", F.monotonically_increasing_id()), "evidence")
     known = known.withColumn("suffix", F.when(F.col("source").contains("-"), F.substring_index("source", "-", -1)))
     table = declaration_table(known)
-    ready = host_priors(known)
+    ready = known.join(host_priors(known), "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(LANGUAGES)
