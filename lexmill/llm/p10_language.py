@@ -368,32 +368,48 @@ def stretches(docs: DataFrame, function_word: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(LANGUAGES)
+        odd = np.flatnonzero(_BASE != np.arange(k))
+        said_table = np.log(np.array(list(table.values())))
+        place = {key: i for i, key in enumerate(table)}
+
+        def posterior(sums: np.ndarray) -> np.ndarray:
+            post = np.exp(sums - sums.max(1, keepdims=True))
+            for j in odd:  # a language is all its classes
+                post[:, _BASE[j]] += post[:, j]
+                post[:, j] = 0.0
+            return post / post.sum(1, keepdims=True)
+
         for batch in batches:
-            cols = {c: batch.column(c) for c in ("scores", "starts", "ends", "prior")}
-            flat = {c: np.asarray(v.flatten()) for c, v in cols.items()}
-            edges = {c: np.r_[0, np.cumsum(np.asarray(pc.list_value_length(v)))] for c, v in cols.items()}
-            at, seg, lang, sure, lo, hi = [], [], [], [], [], []
-            for i, said in enumerate(batch.column("said").to_pylist()):
-                score = flat["scores"][edges["scores"][i] : edges["scores"][i + 1]].reshape(-1, k).astype(float)
-                prior = flat["prior"][edges["prior"][i] : edges["prior"][i + 1]] * table["" if said is None else said if said in _INDEX else "?"]
-                prior = prior / prior.sum()
-                best = _BASE[decode(score, prior)]
-                starts = flat["starts"][edges["starts"][i] : edges["starts"][i + 1]]
-                ends = flat["ends"][edges["ends"][i] : edges["ends"][i + 1]]
-                cuts = np.flatnonzero(np.r_[True, best[1:] != best[:-1]])
-                sums = np.add.reduceat(score, cuts) + np.log(prior)
-                sums -= sums.max(1, keepdims=True)
-                post = np.exp(sums)
-                np.add.at(post.T, _BASE[_BASE != np.arange(k)], post.T[_BASE != np.arange(k)])  # a language is all its classes
-                post[:, _BASE != np.arange(k)] = 0.0
-                post /= post.sum(1, keepdims=True)
-                for s, (a, b) in enumerate(zip(cuts, np.r_[cuts[1:], len(best)])):
-                    at.append(i)
-                    seg.append(s)
-                    lang.append(LANGUAGES[best[a]])
-                    sure.append(round(float(post[s, best[a]]), 4))
-                    lo.append(int(starts[a]))
-                    hi.append(int(ends[b - 1]))
+            if not batch.num_rows:
+                continue
+            score = np.asarray(batch.column("scores").flatten()).reshape(-1, k).astype(float)
+            starts, ends = (np.asarray(batch.column(c).flatten()) for c in ("starts", "ends"))
+            n = np.asarray(pc.list_value_length(batch.column("starts")))
+            first = np.r_[0, np.cumsum(n)[:-1]]
+            said = np.array([place.get("" if x is None else x if x in _INDEX else "?") for x in batch.column("said").to_pylist()])
+            prior = np.log(np.asarray(batch.column("prior").flatten()).reshape(-1, k)) + said_table[said]
+            prior -= np.log(np.exp(prior).sum(1, keepdims=True))
+            top = score.argmax(1)
+            sums = np.add.reduceat(score, first) + prior
+            # documents whose sentences agree, at once; of a single sentence the prior has a say
+            one = np.minimum.reduceat(top, first) == np.maximum.reduceat(top, first)
+            best = _BASE[np.where(n == 1, sums.argmax(1), top[first])]
+            at = list(np.flatnonzero(one))
+            seg, lang = [0] * len(at), [LANGUAGES[j] for j in best[one]]
+            sure = list(np.round(posterior(sums)[np.arange(len(n)), best][one], 4))
+            lo, hi = list(starts[first][one]), list(ends[first + n - 1][one])
+            for i in np.flatnonzero(~one):
+                some = slice(first[i], first[i] + n[i])
+                chain = _BASE[decode(score[some], np.exp(prior[i]))]
+                cuts = np.flatnonzero(np.r_[True, chain[1:] != chain[:-1]])
+                post = posterior(np.add.reduceat(score[some], cuts) + prior[i])
+                last = np.r_[cuts[1:], len(chain)] - 1
+                at += [i] * len(cuts)
+                seg += range(len(cuts))
+                lang += [LANGUAGES[j] for j in chain[cuts]]
+                sure += list(np.round(post[np.arange(len(cuts)), chain[cuts]], 4))
+                lo += list(starts[some][cuts])
+                hi += list(ends[some][last])
             take = pa.array(at, pa.int64())
             yield pa.record_batch([
                 batch.column("doc_id").take(take), batch.column("said").take(take), pa.array(seg, pa.int32()), pa.array(lang, pa.string()),
