@@ -104,7 +104,7 @@ reach(node, seen) AS (SELECT DISTINCT a, a FROM u UNION SELECT u.b, reach.seen F
 r AS (SELECT node, min(seen) AS root FROM reach GROUP BY node)
 SELECT substr(root, 3) AS lead_document_id, substr(node, 3) AS document_id FROM r WHERE node LIKE 'd:%' AND node <> root"""
 
-_STATISTICS = """
+_STATISTICS = r"""
 WITH f AS (SELECT DISTINCT lower(trim(word)) AS w FROM function_word WHERE word IS NOT NULL), fs AS (SELECT list(w) AS common FROM f),
 b AS (SELECT document_id, source, coalesce(text, '') AS t FROM clean_document),
 x AS (SELECT document_id, source, t, regexp_extract_all(lower(translate(t, 'Iİ', 'ıi')), '[\p{L}\p{N}]+') AS w, list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '[^ \t\r]')) AS l, common FROM b, fs)
