@@ -76,7 +76,9 @@ def matches(corpus: DataFrame, cases: DataFrame, width: int = 12, slop: int = 0,
     window = cut(windows(queries, frequency, width, width - least), "windows")
     if slop or least < width:
         return _proximity(index, queries, window, width, slop, least)
-    place = index.select("term", "document_id", F.explode("positions").alias("found"))
+    # postings of words that no window has are left where they are; the planner broadcasts the terms where they are few
+    asked = window.select(F.explode("terms.term").alias("term")).distinct()
+    place = index.join(asked, "term", "left_semi").select("term", "document_id", F.explode("positions").alias("found"))
     ranked = window.select("case_id", "field", "start", F.posexplode("terms").alias("rank", "t")).select(
         "case_id", "field", "start", "rank", F.col("t.term").alias("term"), (F.col("t.pos") - F.col("start")).alias("offset")
     )
