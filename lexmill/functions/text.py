@@ -87,6 +87,11 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(az_lower(text), F.lit(WORD), 0)
 
 
+def spaced_words(text: Column) -> Column:
+    """`words` joined by one space, worked out without the array."""
+    return F.trim(F.regexp_replace(az_lower(text), rf"[^{WORD[1:]}", " "))
+
+
 def lm_tokens(text: Column) -> Column:
     """The words a language model reads; the same runs as `words`."""
     return words(text)

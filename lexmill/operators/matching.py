@@ -43,14 +43,22 @@ def owner_collisions(keyed: DataFrame, order: str, split: str = "split") -> Data
 
 def classify_collisions(keyed: DataFrame) -> DataFrame:
     """`(key_type, key, clean_splits, clean_collision, affected)` for `keyed (key_type, key, side, split, row)`, side clean or noisy: a key
-    with two or more clean splits collides cleanly; else its noisy rows outside the clean split are affected."""
-    clean = F.when(F.col("side") == "clean", F.col("split"))
-    per_key = keyed.groupBy("key_type", "key").agg(F.countDistinct(clean).alias("clean_splits"), F.min(clean).alias("owner"), F.countDistinct("split").alias("splits"))
-    across = per_key.where("splits > 1")
-    noisy = keyed.where("side = 'noisy'").join(across, ["key_type", "key"]).where("clean_splits <= 1 AND (owner IS NULL OR split != owner)")
-    affected = noisy.groupBy("key_type", "key").agg(F.countDistinct("row").alias("affected"))
-    out = across.join(affected, ["key_type", "key"], "left")
-    return out.select("key_type", "key", "clean_splits", (F.col("clean_splits") > 1).alias("clean_collision"), F.coalesce("affected", F.lit(0)).alias("affected"))
+    with two or more clean splits collides cleanly; else its noisy rows outside the clean split are affected. A row of a key is reduced to its
+    splits, a key to one record a split: no key's rows are gathered in one task."""
+    at = lambda side: F.collect_set(F.when(F.col("side") == side, F.col("split"))).alias(side)
+    per_row = keyed.groupBy("key_type", "key", "row").agg(at("clean"), at("noisy"))
+    # a row is counted at its noisy split or, with several of them, at none: then it is outside any one clean split
+    record = lambda split, clean, n: F.struct(split.alias("split"), clean.cast("int").alias("clean"), n.cast("int").alias("n"))
+    counted, several = F.col("row").isNotNull(), F.size("noisy") > 1
+    parts = [
+        F.transform("clean", lambda s: record(s, F.lit(1), F.lit(0))), F.transform("noisy", lambda s: record(s, F.lit(0), counted & ~several)),
+        F.when(several, F.array(record(F.lit(None).cast("string"), F.lit(0), counted))).otherwise(F.array()),
+    ]
+    per_split = per_row.select("key_type", "key", F.inline(F.concat(*parts))).groupBy("key_type", "key", "split").agg(F.max("clean").alias("clean"), F.sum("n").alias("n"))
+    outside = F.sum(F.when(F.col("clean") == 0, F.col("n")).otherwise(0)).alias("outside")
+    per_key = per_split.groupBy("key_type", "key").agg(F.sum("clean").alias("clean_splits"), F.count("split").alias("splits"), outside).where("splits > 1")
+    collides = F.col("clean_splits") > 1
+    return per_key.select("key_type", "key", "clean_splits", collides.alias("clean_collision"), F.when(collides, F.lit(0)).otherwise(F.col("outside")).alias("affected"))
 
 
 def guard_pairs(pairs: DataFrame, keyed: DataFrame, id: str = "id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as t
-from lexmill.operators import components, matching as m, similarity, splits
+from lexmill.operators import components, crossing, matching as m, similarity, splits
 from lexmill.operators.curation import segment_fallback
 from lexmill.plans import sql as s
 from lexmill.plans.registry import query
@@ -104,7 +104,11 @@ per AS (SELECT key_type, key, count(DISTINCT split) FILTER (side = 'clean') AS c
 aff AS (SELECT key_type, key, count(DISTINCT row) AS affected FROM keyed JOIN per USING (key_type, key) WHERE side = 'noisy' AND clean_splits <= 1 AND (owner IS NULL OR split <> owner) GROUP BY ALL)
 SELECT key_type, key, clean_splits, clean_splits > 1 AS clean_collision, coalesce(affected, 0) AS affected FROM per LEFT JOIN aff USING (key_type, key)""")
 def collision_classify(q):
-    return m.classify_collisions(_keyed(q))
+    """Only keys that may lie in several splits are hashed in full."""
+    spaced = lambda c: F.when(F.col(c).isNotNull(), t.spaced_words(F.col(c)))
+    rows = _rows(q).where("split IS NOT NULL").select(F.col("id").alias("row"), "split", spaced("target").alias("clean"), spaced("input").alias("noisy"))
+    out = m.classify_collisions(crossing.keyed(rows))
+    return out.withColumn("key", F.lower(F.hex("key")))
 
 
 @query("guard_pairs", f"""WITH {_SIDES} {_KEYED}
