@@ -44,7 +44,12 @@ BITS, TEMPER, CHANGE, SMOOTH, FOREIGN, FULL = 16, 0.3, 0.001, 20.0, 2e-3, 80
 
 _LINE = r"\r\n\v\f\x85\u2028\u2029"
 _CLOSE = "[»”\"’)\\]」』]*"
-_END = re.compile(f"[{_LINE}]+|[.!?…]+{_CLOSE}(?=\\s|$)|[。！？।؟۔]+{_CLOSE}|(?<=[\u0e00-\u0e7f]) +")
+_MARK, _FULL_STOP, _THAI = ".!?…", "。！？।؟۔", "\u0e00-\u0e7f"
+# each begins with a set of characters, which the search skips to; a space is one only where there is Thai
+_AFTER = f"(?<=[{_LINE}])[{_LINE}]*|(?<=[{_MARK}])[{_MARK}]*{_CLOSE}(?=\\s|$)|(?<=[{_FULL_STOP}])[{_FULL_STOP}]*{_CLOSE}"
+_END = re.compile(f"[{_LINE}{_MARK}{_FULL_STOP}](?:{_AFTER})")
+_END_THAI = re.compile(f"[{_LINE}{_MARK}{_FULL_STOP} ](?:{_AFTER}|(?<=[{_THAI}] ) *)")
+_HAS_THAI = re.compile(f"[{_THAI}]")
 _LETTER = re.compile(r"[^\W\d_]")
 _ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|(?:https?://|www\.)[!-~]+")  # in no language
 _INDEX = {lang: i for i, lang in enumerate(LANGUAGES)}
@@ -63,7 +68,8 @@ def declared(lang: Column) -> Column:
 def sentences(text: str) -> list[tuple[int, int]]:
     """Spans of the sentences that have a letter. In Thai a space ends one; text without a letter belongs to none."""
     out, at = [], 0
-    for hi in [m.end() for m in _END.finditer(text)] + [len(text)]:
+    end = _END if text.isascii() or not _HAS_THAI.search(text) else _END_THAI
+    for hi in [m.end() for m in end.finditer(text)] + [len(text)]:
         piece = text[at:hi]
         if _LETTER.search(piece):
             kept = piece.rstrip()
